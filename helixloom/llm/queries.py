@@ -9,6 +9,12 @@ from .common import read
 from .exact_dedup import exact_dedup
 from .licences import LICENCES, canonical_sql, license_scan
 from .mixing import mix, sized
+from .simhash import near_dedup
+
+
+def op2_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +29,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_exact_dedup, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_simhash_bktree, op3_mixing, op4_exact_dedup, op10_license_scan)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
