@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .decontaminate import leaks
 from .exact_dedup import exact_dedup
 from .licences import LICENCES, canonical_sql, license_scan
 from .mixing import mix, sized
 from .simhash import near_dedup
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -29,7 +34,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_bktree, op3_mixing, op4_exact_dedup, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_bktree, op3_mixing, op4_exact_dedup, op10_license_scan)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
