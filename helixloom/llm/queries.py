@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .decontaminate import leaks
 from .exact_dedup import exact_dedup
+from .language import fit, held_out, predict, train_part
 from .licences import LICENCES, canonical_sql, license_scan
 from .mixing import mix, sized
 from .simhash import near_dedup
@@ -30,11 +31,17 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents")).drop("chain")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = predict(docs, fit(train_part(docs)))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_bktree, op3_mixing, op4_exact_dedup, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_bktree, op3_mixing, op4_exact_dedup, op7_language_id, op10_license_scan)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
