@@ -12,6 +12,7 @@ from .language import fit, held_out, predict, train_part
 from .licences import LICENCES, canonical_sql, license_scan
 from .mixing import mix, sized
 from .simhash import near_dedup
+from .spans import span_dedup
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,11 +38,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup(read(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_bktree, op3_mixing, op4_exact_dedup, op7_language_id, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_bktree, op3_mixing, op4_exact_dedup, op7_language_id, op9_sentence_spans, op10_license_scan)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
