@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .chat import format_conversations, read_back
+from .common import read, stored
 from .decontaminate import leaks
 from .exact_dedup import exact_dedup
 from .language import fit, held_out, predict, train_part
@@ -32,6 +33,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents")).drop("chain")
 
 
+#: A conversation whose texts hold control strings of the template.
+AWKWARD = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.union(spark.createDataFrame(AWKWARD, "conv_id long, turn long, role string, text string"))
+    return read_back(stored(format_conversations(turns), "chat"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = predict(docs, fit(train_part(docs)))
@@ -46,7 +57,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_bktree, op3_mixing, op4_exact_dedup, op7_language_id, op9_sentence_spans, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_bktree, op3_mixing, op4_exact_dedup, op5_chat_formatting, op7_language_id, op9_sentence_spans, op10_license_scan)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
