@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_back
-from .common import read, stored
+from .common import new_path, read, stored
 from .decontaminate import leaks
 from .exact_dedup import exact_dedup
 from .language import fit, held_out, predict, train_part
@@ -14,6 +14,7 @@ from .licences import LICENCES, canonical_sql, license_scan
 from .mixing import mix, sized
 from .simhash import near_dedup
 from .spans import span_dedup
+from .warc import read_archives, write_archives
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +50,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    write_archives(read(spark, sf_dir, "pages"), path)
+    return read_archives(spark, path).drop("url")
+
+
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup(read(spark, sf_dir, "documents"))
 
@@ -57,7 +64,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_bktree, op3_mixing, op4_exact_dedup, op5_chat_formatting, op7_language_id, op9_sentence_spans, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_bktree, op3_mixing, op4_exact_dedup, op5_chat_formatting, op7_language_id, op8_warc, op9_sentence_spans, op10_license_scan)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
