@@ -10,6 +10,7 @@ from .common import new_path, read, stored
 from .decontaminate import leaks
 from .exact_dedup import exact_dedup
 from .language import fit, held_out, predict, train_part
+from .lines import line_dedup
 from .licences import LICENCES, canonical_sql, license_scan
 from .mixing import mix, sized
 from .simhash import near_dedup
@@ -44,6 +45,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(stored(format_conversations(turns), "chat"))
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(read(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = predict(docs, fit(train_part(docs)))
@@ -64,7 +69,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_bktree, op3_mixing, op4_exact_dedup, op5_chat_formatting, op7_language_id, op8_warc, op9_sentence_spans, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_bktree, op3_mixing, op4_exact_dedup, op5_chat_formatting, op6_fuzzy_lines, op7_language_id, op8_warc, op9_sentence_spans, op10_license_scan)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""

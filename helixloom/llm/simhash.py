@@ -114,11 +114,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(_fingerprinter(words, sketch), "doc_id long, fp long" + ", keys array<long>" * bool(sketch))
 
 
-def block_keys(items: DataFrame) -> DataFrame:
-    """(key, fp): six keys of 32 bits, every two of the four 16-bit blocks. Two fingerprints that differ in at
-    most two bits agree in two blocks at least, so they share a key: exact for a radius up to 2."""
-    block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    keys = [F.lit(n << 32) + block[i] * F.lit(1 << 16) + block[j] for n, (i, j) in enumerate(itertools.combinations(range(4), 2))]
+#: Widths of the blocks by radius; a key is two blocks.
+_BLOCKS = {2: (16, 16, 16, 16), 3: (13, 13, 13, 13, 12)}
+
+
+def block_keys(items: DataFrame, radius: int = 2) -> DataFrame:
+    """(key, fp): a key for every two blocks. Fingerprints that differ in at most `radius` bits (3 at most) agree in
+    two blocks at least, so they share a key, of 32 bits for a radius up to 2 (six keys) and 25 for 3 (ten)."""
+    if radius > 3:
+        raise ValueError("block keys are exact up to radius 3; sketch_keys() serves wider ones")
+    widths = _BLOCKS[max(radius, 2)]
+    at = [sum(widths[:i]) for i in range(len(widths))]
+    block = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in zip(at, widths)]
+    keys = [F.lit(n << 32) + block[i] * F.lit(1 << 16) + block[j] for n, (i, j) in enumerate(itertools.combinations(range(len(widths)), 2))]
     return items.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
@@ -208,15 +216,13 @@ def classes(prints: DataFrame, keys: DataFrame, radius: int, shard_items: int =
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(doc_id, fp, component_id): one row per row of docs; fp as a signed long.
 
-    Documents are linked when their fingerprints differ in at most `radius` bits, 2 at most (block_keys finds all
+    Documents are linked when their fingerprints differ in at most `radius` bits, 3 at most (block_keys finds all
     of those). Texts without words, null ones too, have fingerprint 0 and are linked like others. A null id takes
     part with its fingerprint and is never a component's id unless all of its ids are null. Repeated rows stay
     rows. An empty table gives no rows; other columns are not read.
     """
-    if radius > 2:
-        raise ValueError("block keys are exact up to radius 2; similar_documents() serves wider ones")
     prints = stored(fingerprints(docs, id_col, text_col, words), "prints")
-    ids = classes(prints, block_keys(prints.select("fp").distinct()), radius, shard_items)
+    ids = classes(prints, block_keys(prints.select("fp").distinct(), radius), radius, shard_items)
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -231,3 +237,16 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     prints = stored(fingerprints(docs, id_col, text_col, words, SKETCH), "prints")
     ids = classes(prints, sketch_keys(prints), radius_for(similarity), shard_items)
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+def without_similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component of similar_documents(), that of the smallest id; columns as they are.
+
+    Of rows that repeat id and text one stays. Rows of the kept id that differ in text all stay.
+    """
+    ids = similar_documents(docs, similarity, words, id_col, text_col)
+    kept = ids.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), key.alias("_key"), F.xxhash64(key, text).alias("_row"))
+    left = rows.join(kept, F.col("_key").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["_row"])
+    return left.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
