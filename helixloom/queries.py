@@ -192,9 +192,11 @@ def find_var(spark, d):
 
 
 @query(f"""{_IBS} select sample, chrom, seg as block, min(event_id) as "start", max(event_id) + 10 as "end", max(event_id) + 10 - min(event_id) as length, count(*) as total_blocks,
-    count(*) filter (m) as ibs_blocks, count(*) filter (m) / count(*) as ibs_proportion, round(sum(score) / count(*), 4) as mean_score from r where lo is not null and rn between lo and hi group by 1, 2, 3""")
+    count(*) filter (m) as ibs_blocks, count(*) filter (m) / count(*) as ibs_proportion, cast(round(sum(score) * 100) as bigint) as score_cents from r where lo is not null and rn between lo and hi group by 1, 2, 3""")
 def ibs_summary(spark, d):
-    return ibs.summarize_regions(ibs.label_regions(scored_events(spark, d), cut=40, max_gap=2)).withColumn("mean_score", F.round("mean_score", 4))
+    found = ibs.summarize_regions(ibs.label_regions(scored_events(spark, d), cut=40, max_gap=2))
+    # Scores have two decimals: their sum is whole cents, whatever the order of summing.
+    return found.withColumn("score_cents", F.round(F.col("mean_score") * F.col("total_blocks") * 100).cast("long")).drop("mean_score")
 
 
 @query(f'{_IBS} select sample, chrom, event_id as "start", event_id + 10 as "end" from r where ibs > 0')
@@ -403,11 +405,11 @@ def position_grid(spark, d):
     return sitestats.position_grid(chrom_lengths(spark, d))
 
 
-_HITS = "(select l_suppkey as chr, l_partkey * 1000 as \"start\", (l_quantity + 1) / 1e6 as pval from lineitem)"
+_HITS = "(select l_suppkey as chr, l_partkey * 1000 as \"start\", l_quantity * l_quantity * l_quantity * l_quantity / 1e12 as pval from lineitem)"
 
 
 def hits(spark, d):
-    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("chr"), (F.col("l_partkey") * 1000).alias("start"), ((F.col("l_quantity") + 1) / 1e6).alias("pval"))
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("chr"), (F.col("l_partkey") * 1000).alias("start"), (F.col("l_quantity") * F.col("l_quantity") * F.col("l_quantity") * F.col("l_quantity") / F.lit(1e12)).alias("pval"))
 
 
 @query(f"select distinct chr, pos, pval from (select *, rank() over (partition by chr, pos order by pval) as r from (select *, round_even(\"start\" / 500000.0, 0) / 2 as pos from {_HITS})) where r = 1")
