@@ -27,7 +27,8 @@ def count(spark: SparkSession, sequences: str, k: int, output: str, min_count: i
 
 
 def screen_variations(spark: SparkSession, reference: str, kmer_table: str, output: str, sample: str, feature: str = "window", window: int = 0, step: int = 0, gtf: str | None = None, min_count: int = 1, weights: tuple[float, float, float] = DEFAULT_WEIGHTS, k: int | None = None, both_strands: bool = True) -> None:
-    """Window table of one sample. kmer_table is the prefix of a binary table, or with k a Parquet folder (kmer, cnt)."""
+    """Window table of one sample, as text and, at <output>.parquet, as the long table that the text is made from: k-mers
+    are looked up and folded once. kmer_table is the prefix of a binary table, or with k a Parquet folder (kmer, cnt)."""
     if feature not in ("window", "gene", "transcript"):
         raise ValueError("feature is window, gene or transcript")
     if feature == "window" and window <= 0 or feature != "window" and not gtf:
@@ -45,7 +46,8 @@ def screen_variations(spark: SparkSession, reference: str, kmer_table: str, outp
         found = found.withColumn("win_id", F.concat_ws("_", "contig", F.col("start").cast("string")))
     else:
         found = screen_features(features(read_gtf(spark, gtf)), contigs.select("contig", "seq"), counts, k, feature, min_count, both_strands, weights).withColumn("win_id", F.col("win"))
-    rows = found.withColumnRenamed("contig", "chrom").withColumns({"ibs": F.lit(-1), "sample": sanitize(F.lit(sample)), "sample_idx": F.lit(0)}).drop("win")
+    found.withColumnRenamed("contig", "chrom").withColumns({"ibs": F.lit(-1), "sample": sanitize(F.lit(sample)), "sample_idx": F.lit(0)}).drop("win").write.parquet(f"{output}.parquet")
+    rows = spark.read.parquet(f"{output}.parquet")
     name = spark.range(1).select(sanitize(F.lit(sample)).alias("s")).first().s
     lengths = {r.contig: r.length for r in contigs.select("contig_idx", "contig", "length").orderBy("contig_idx").toLocalIterator()}
     values = (window if feature == "window" else 0, step, k, "false", rows.count(), *weights)
