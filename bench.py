@@ -17,7 +17,7 @@ HEADLINE = (
     "kmer_extract", "kmer_count", "window_tile", "window_fold", "window_fold_slide", "eff_length", "find_ibs", "ibs_summary", "info_stats", "cohort_validate", "increase_window",
     "attributes_wide", "genotype_table", "plink_ped", "site_summary", "kinship", "interval_merge", "interval_contained", "gtf_tree", "spliced_seq", "screen_transcripts", "compare_ibs",
 )
-RUNS = 3
+RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 
 def main() -> None:
