@@ -25,41 +25,39 @@ from .common import stored
 MIN_SENTENCES = 2
 MIN_WORDS = 24
 LONG_WORDS = 16
-_SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)|\n|\Z)\s*", re.S)
-_CLAUSE = re.compile(r".*?(?:[,;:]+(?=\s)|\Z)\s*", re.S)
+_SENTENCE = re.compile(r"[.!?]+\s+|\n\s*")
+_CLAUSE = re.compile(r"[,;:]+\s+")
 _WORD = re.compile(r"\S+\s*")
 
 
+def _cuts(pattern: re.Pattern, text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Parts of text[start:end], each up to the end of a match."""
+    for m in pattern.finditer(text, start, end):
+        yield start, m.end()
+        start = m.end()
+    if start < end:
+        yield start, end
+
+
 def sentences(text: str, long_words: int = LONG_WORDS) -> list[tuple[int, int, list[str]]]:
     """(start, end, lower-cased words) of each sentence with words; together they hold all words of the text."""
     out = []
-
-    def add(start: int, end: int) -> None:
-        words = text[start:end].lower().split()
-        if words:
-            out.append((start, end, words))
-
-    for m in _SENTENCE.finditer(text):
-        a, b = m.span()
-        if a == b:
-            continue
-        if len(words := m.group().split()) <= long_words:
+    for a, b in _cuts(_SENTENCE, text, 0, len(text)):
+        words = text[a:b].lower().split()
+        if len(words) <= long_words:
             if words:
-                out.append((a, b, m.group().lower().split()))
+                out.append((a, b, words))
             continue
-        for c in _CLAUSE.finditer(text, a, b):
-            if c.start() == c.end():
+        for c, d in _cuts(_CLAUSE, text, a, b):
+            words = text[c:d].lower().split()
+            if len(words) <= long_words:
+                if words:
+                    out.append((c, d, words))
                 continue
-            if len(c.group().split()) <= long_words:
-                add(*c.span())
-                continue
-            n, at = 0, c.start()
-            for w in _WORD.finditer(text, c.start(), c.end()):
-                n += 1
-                if n == long_words:
-                    add(at, w.end())
-                    n, at = 0, w.end()
-            add(at, c.end())
+            ends = [m.end() for m in _WORD.finditer(text, c, d)][long_words - 1 :: long_words]
+            for at, to in zip([c, *ends], [*ends, d]):
+                if part := text[at:to].lower().split():
+                    out.append((at, to, part))
     return out
 
 
@@ -74,29 +72,16 @@ def runs(counts: list[int], min_sentences: int, min_words: int) -> list[tuple[in
     return sorted(found)
 
 
-def _hashed(text: str, min_sentences: int, min_words: int, long_words: int) -> list[tuple[int, int, int, int]]:
-    """(hash, hash, first sentence, end) of each span of the text; of equal spans only the first."""
+def _hashed(text: str, min_sentences: int, min_words: int, long_words: int) -> tuple[dict[bytes, tuple[int, int]], list[tuple[int, int]]]:
+    """Digest to place of each span of the text; and places of those that repeat one before, without overlap."""
     cut = sentences(text, long_words)
     each = [xxhash.xxh3_128_digest(" ".join(w)) for _, _, w in cut]
-    seen, out = {}, []
+    first, again = {}, []
     for a, b in runs([len(w) for _, _, w in cut], min_sentences, min_words):
         h = xxhash.xxh3_128_digest(b"".join(each[a:b]))
-        if h not in seen:
-            seen[h] = True
-            out.append((int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:12], "little", signed=True), a, b))
-    return out
-
-
-def _repeats(text: str, min_sentences: int, min_words: int, long_words: int) -> list[tuple[int, int]]:
-    """Spans that repeat an earlier one of the same text that they do not overlap."""
-    cut = sentences(text, long_words)
-    each = [xxhash.xxh3_128_digest(" ".join(w)) for _, _, w in cut]
-    first, out = {}, []
-    for a, b in runs([len(w) for _, _, w in cut], min_sentences, min_words):
-        h = b"".join(each[a:b])
         if first.setdefault(h, (a, b))[1] <= a:
-            out.append((a, b))
-    return out
+            again.append((a, b))
+    return first, again
 
 
 def remove(text: str, covered: np.ndarray, cut: list) -> str:
@@ -113,56 +98,64 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, text, sentences_removed, words_removed, first_ids): one row per row of docs.
 
     text is what is left; first_ids are the documents that keep a span removed here. In one document a later
-    repetition goes too. Rows of one id count as one document: none is taken for a repetition of another.
-    A null id comes after all others. Null texts stay null, empty ones empty. An empty table gives no rows; other
-    columns are not read.
+    repetition goes too. Rows of one id count as one document: none is taken for a repetition of another. A null
+    id comes after all others. Null texts stay null, empty ones empty. An empty table gives no rows; other columns
+    are not read.
     """
     picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    picked = picked.withColumn("row", F.xxhash64("doc_id", "text"))
+    # A row's address is its id, and a tag that tells rows of one id but different texts apart.
+    picked = picked.withColumns({"ord": F.coalesce("doc_id", F.lit((1 << 63) - 1)), "tag": F.hash("text")})
     options = (min_sentences, min_words, long_words)
+    kind = np.dtype([("h1", "<i8"), ("h2", "<i4"), ("rest", "<i4")])
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, rows = [], []
+            owner, digests, places = [], [], []  # a repetition within its text has no digest
+
+            def out() -> pa.RecordBatch:
+                index, null = pa.array(owner, pa.int64()), np.array([d is None for d in digests])
+                h = np.frombuffer(b"".join(d or bytes(16) for d in digests), kind)
+                at = np.array(places, np.int32)
+                return pa.RecordBatch.from_arrays([pa.array(h["h1"].copy(), mask=null), pa.array(h["h2"].copy(), mask=null), batch.column(0).take(index), batch.column(1).take(index), pa.array(at[:, 0].copy()), pa.array((at[:, 1] - at[:, 0]).astype(np.int16))], names=["h1", "h2", "ord", "tag", "a", "n"])
+
             for i, text in enumerate(batch.column(2)):
                 if text.is_valid:
-                    found = _hashed(text.as_py(), *options)
-                    at += [i] * len(found)
-                    rows += found
-                if len(rows) >= 100_000 or i == batch.num_rows - 1:
-                    cols = np.array(rows, np.int64).reshape(-1, 4)
-                    index = pa.array(at, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[:, 0]), pa.array(cols[:, 1].astype(np.int32)), batch.column(0).take(index), batch.column(1).take(index), pa.array(cols[:, 2].astype(np.int32)), pa.array(cols[:, 3].astype(np.int32))], names=["h1", "h2", "ord", "row", "a", "b"])
-                    at, rows = [], []
-
-    order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    spans = stored(picked.select(order.alias("ord"), "row", "text").mapInArrow(hash_all, "h1 long, h2 int, ord long, row long, a int, b int"), "spans")
+                    found, again = _hashed(text.as_py(), *options)
+                    owner += [i] * (len(found) + len(again))
+                    digests += [*found, *[None] * len(again)]
+                    places += [*found.values(), *again]
+                if len(owner) >= 200_000:
+                    yield out()
+                    owner, digests, places = [], [], []
+            if owner:
+                yield out()
+
+    spans = stored(picked.select("ord", "tag", "text").mapInArrow(hash_all, "h1 long, h2 int, ord long, tag int, a int, n short"), "spans")
     # Rows per hash are combined before they are sent; a span found everywhere is a row per task here and on the side that AQE splits below.
-    first = spans.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
-    later = spans.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where("ord > first")
-    gone = later.groupBy(F.col("row").alias("of")).agg(F.collect_set(F.struct("a", "b")).alias("spans"), F.array_sort(F.collect_set("first")).alias("first_ids"))
-    joined = picked.join(gone, F.col("row") == F.col("of"), "left").select("doc_id", "text", "spans", "first_ids")
+    known = spans.where("h1 is not null")
+    first = known.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.count("*").alias("rows")).where("rows > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
+    later = known.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where("ord > first").select("ord", "tag", "a", "n", "first")
+    again = spans.where("h1 is null").select("ord", "tag", "a", "n", F.lit(None).cast("long").alias("first"))
+    gone = later.union(again).groupBy(F.col("ord").alias("o"), F.col("tag").alias("t")).agg(F.collect_set(F.struct("a", "n")).alias("at"), F.array_sort(F.collect_set("first")).alias("first_ids"))
+    joined = picked.join(gone, (F.col("ord") == F.col("o")) & (F.col("tag") == F.col("t")), "left").select("doc_id", "text", "at", "first_ids")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n_sentences, n_words, kept = [], [], [], batch.column(3)
-            for text, spans_ in zip(batch.column(1), batch.column(2)):
-                text = text.as_py()
-                found = [(s["a"], s["b"]) for s in spans_.as_py() or ()]
-                if text:
-                    found += _repeats(text, *options)
-                if not found:
-                    texts.append(text)
+            texts, n_sentences, n_words = [], [], []
+            for text, at in zip(batch.column(1), batch.column(2)):
+                if not at.is_valid:
+                    texts.append(text.as_py())
                     n_sentences.append(0)
                     n_words.append(0)
                     continue
+                text = text.as_py()
                 cut = sentences(text, long_words)
                 covered = np.zeros(len(cut), bool)
-                for a, b in found:
-                    covered[a:b] = True
+                for span in at.as_py():
+                    covered[span["a"] : span["a"] + span["n"]] = True
                 texts.append(remove(text, covered, cut))
                 n_sentences.append(int(covered.sum()))
-                n_words.append(sum(len(c[2]) for c, gone_ in zip(cut, covered) if gone_))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(n_sentences, pa.int32()), pa.array(n_words, pa.int32()), kept], names=["doc_id", "text", "sentences_removed", "words_removed", "first_ids"])
+                n_words.append(sum(len(c[2]) for c, is_gone in zip(cut, covered) if is_gone))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(n_sentences, pa.int32()), pa.array(n_words, pa.int32()), batch.column(3)], names=["doc_id", "text", "sentences_removed", "words_removed", "first_ids"])
 
     return joined.mapInArrow(cut_out, "doc_id long, text string, sentences_removed int, words_removed int, first_ids array<long>")
