@@ -49,6 +49,30 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.fromiter((hashed(line[a:b], SEED) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist())), np.uint64, len(found) - words + 1)
 
 
+def bit_counts(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many hashes have each of the 64 bits, for consecutive groups of `size` hashes, none empty."""
+    first = np.cumsum(size) - size
+    parts = (size + 254) // 255  # a one-byte counter holds 255
+    of = np.repeat(np.arange(len(size)), parts)
+    begins = np.cumsum(parts) - parts
+    at = first[of] + 255 * (np.arange(len(of)) - begins[of])
+    lanes = np.add.reduceat(_LANES[h.view(np.uint8).reshape(-1, 8)], at, axis=0)
+    counts = np.ascontiguousarray(lanes).view(np.uint8)
+    return counts.astype(np.int64) if len(of) == len(size) else np.add.reduceat(counts, begins, axis=0, dtype=np.int64)
+
+
+def group_fingerprints(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The fingerprint of each group, made in pieces of about _AT_ONCE hashes."""
+    ends, out, low = np.cumsum(size), [], 0
+    while low < len(size):
+        start = int(ends[low] - size[low])
+        high = max(low + 1, int(np.searchsorted(ends, start + _AT_ONCE, "right")))
+        counts = bit_counts(h[start : ends[high - 1]], size[low:high])
+        out.append(np.packbits(counts * 2 > size[low:high, None], axis=1, bitorder="little").view(np.uint64).ravel())
+        low = high
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 class _Counts:
     """Bit counts, and least permuted hashes, of a batch of documents."""
 
@@ -73,11 +97,7 @@ class _Counts:
         h, owner = np.concatenate(self.held), np.array(self.owner)
         size = np.array([len(x) for x in self.held])
         first = np.cumsum(size) - size
-        parts = (size + 254) // 255  # a one-byte counter holds 255
-        of = np.repeat(np.arange(len(size)), parts)
-        at = first[of] + 255 * (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts))
-        lanes = _LANES[h.view(np.uint8).reshape(-1, 8)]
-        np.add.at(self.bits, owner[of], np.ascontiguousarray(np.add.reduceat(lanes, at, axis=0)).view(np.uint8))
+        np.add.at(self.bits, owner, bit_counts(h, size))
         for k in range(self.least.shape[1]):
             mixed = h * _ODD[k]
             mixed ^= mixed >> np.uint64(29)
