@@ -46,7 +46,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(read(spark, sf_dir, "documents"))
+    return line_dedup(read(spark, sf_dir, "documents"), radius=None)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
