@@ -6,7 +6,10 @@ more is covered to its ends by spans that lie in it. Spans are hashed (96 bits),
 of each span the occurrence in the document of the smallest id stays; sentences covered by another one go.
 
 Sentences end at a line's end or after . ! ? and white space; those of over long_words words are cut at commas,
-colons and semicolons too, and else after every long_words words. Hashes ignore case and white space.
+colons and semicolons too. What is still longer is cut where the content says so: after a word whose hash is
+the least among those of long_words // 4 words on either side, so that cuts in a repeated passage are the same
+wherever it begins; and pieces that are still longer (words that repeat) after every
+long_words words. Hashes ignore case and white space.
 """
 
 from __future__ import annotations
@@ -39,6 +42,27 @@ def _cuts(pattern: re.Pattern, text: str, start: int, end: int) -> Iterator[tupl
         yield start, end
 
 
+def _set_by_content(words: list[str], long_words: int) -> list[int]:
+    """How many words there are up to each cut of a long clause, the last one left out."""
+    n, reach = len(words), max(1, long_words // 4)
+    h = list(map(xxhash.xxh3_64_intdigest, words))
+    cuts, at, i = [], 0, 0
+    while i < n:
+        after = min(h[i + 1 : i + 1 + reach], default=h[i])
+        if after < h[i]:
+            i = h.index(after, i + 1)
+            continue
+        if i < n - 1 and (i == 0 or h[i] < min(h[max(0, i - reach) : i])):
+            while i + 1 - at > long_words:
+                at += long_words
+                cuts.append(at)
+            at = i + 1
+            cuts.append(at)
+        i += 1
+    cuts += range(at + long_words, n, long_words)
+    return cuts
+
+
 def sentences(text: str, long_words: int = LONG_WORDS) -> list[tuple[int, int, list[str]]]:
     """(start, end, lower-cased words) of each sentence with words; together they hold all words of the text."""
     out = []
@@ -54,7 +78,8 @@ def sentences(text: str, long_words: int = LONG_WORDS) -> list[tuple[int, int, l
                 if words:
                     out.append((c, d, words))
                 continue
-            ends = [m.end() for m in _WORD.finditer(text, c, d)][long_words - 1 :: long_words]
+            ends = [m.end() for m in _WORD.finditer(text, c, d)]
+            ends = [ends[k - 1] for k in _set_by_content(words, long_words)]
             for at, to in zip([c, *ends], [*ends, d]):
                 if part := text[at:to].lower().split():
                     out.append((at, to, part))

@@ -68,3 +68,19 @@ def test_span_dedup(spark):
     assert by[14].text.split() == (prose(8, 3) + " " + prose(9, 3)).split() and by[14].first_ids == [13]
     assert by[12].sentences_removed == 0 and by[20].text.count("\n") == 3
     assert span_dedup(table.limit(0)).count() == 0
+
+
+def test_passages_that_begin_inside_a_long_clause():
+    """Of a passage put at any word of two texts without punctuation, most words lie in spans that both have."""
+    rng = random.Random(6)
+    for _ in range(60):
+        passage, texts = [f"p{rng.randrange(10**6)}" for _ in range(60)], []
+        for _ in range(2):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+            at = rng.randrange(100)
+            texts.append(" ".join(words[:at] + passage + words[at:]))
+        held = []
+        for t in texts:
+            cut = [w for _, _, w in sentences(t)]
+            held.append({tuple(w for c in cut[a:b] for w in c) for a, b in runs([len(c) for c in cut], 2, 24)})
+        assert len({w for span in held[0] & held[1] for w in span}) >= 30
