@@ -1,4 +1,6 @@
 import random
+import time
+import tracemalloc
 
 import numpy as np
 
@@ -36,6 +38,32 @@ def test_tiles_are_greedy():
         want = brute_tiles(doc, item, 3)
         assert sorted(t[2] for t in got) == sorted(t[2] for t in want)
         assert sum(t[2] for t in got) == sum(t[2] for t in want)
+        used = [set(), set()]
+        for i, j, k in got:
+            assert doc[i : i + k] == item[j : j + k]
+            for taken, at in zip(used, (i, j)):
+                assert not taken & set(range(at, at + k))
+                taken |= set(range(at, at + k))
+
+
+def test_repeated_words_take_time_and_memory_by_length():
+    n = 1_000_000
+    one, mixed = "word " * n, "a b word word word c " * (n // 6)
+    items = [(1, "word " * 200), (2, "word word word word x word word word y " * 20), (3, ("a b word word word c " * 3 + "x ") * 10)]
+    matcher = Matcher(items, 4, 0.7)
+    for text, want in ((one, {1}), (mixed, {3})):
+        tracemalloc.start()
+        began = time.process_time()
+        found = matcher.leaks(text)
+        took, peak = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert {f[0] for f in found} == want and took < 60 and peak < 300e6, (found, took, peak)
+
+
+def test_short_items_are_whole_lines():
+    m = Matcher([(1, "Yes."), (2, "one two"), (3, ITEM)], 4, 0.7)
+    assert m.leaks("one two three\nyes, one") == []
+    assert sorted(m.leaks("a line\nYES!\nOne, two.\n" + ITEM)) == [(1, 1.0, 1, 1), (2, 1.0, 1, 2), (3, 1.0, 1, 22)]
 
 
 ITEM = "the quick brown fox jumps over the lazy dog while seven wizards boil green tea near an old stone bridge at dawn"
