@@ -16,6 +16,7 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import zstandard
@@ -70,23 +71,25 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT,
 
     Of equal payloads of min_revisit bytes or more, the page with the largest id is a response and the others are
     revisits of it; rows that repeat that page are responses too, and a null id is less than any other. Payloads
-    are equal when length, SHA-1 and SHA-256 are. A null html is an empty payload, a null url no URI.
+    are equal when length, SHA-1 and SHA-256 are. A null html is an empty payload, a null url no URI. Rows that
+    repeat page and payload lie in one archive. An empty table gives a folder without archives; other columns are
+    not read.
     """
     picked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     sha = F.sha1("html")
     slim = stored(picked.select("page_id", F.octet_length("html").alias("size"), sha.alias("sha1"), F.sha2("html", 256).alias("sha2")), "warc-digests")
     groups = slim.where(F.col("size") >= min_revisit).groupBy("size", "sha1", "sha2").agg(F.count("*").alias("n"), F.max("page_id").alias("keep")).where("n > 1 and keep is not null")
     revisits = slim.join(groups, ["size", "sha1", "sha2"]).where(~F.col("page_id").eqNullSafe(F.col("keep")))
-    key = F.xxhash64("page_id", "sha1")
-    revisits = revisits.select(key.alias("rk"), F.col("page_id").alias("rid"), F.col("sha1").alias("rsha"), "keep").distinct()
+    key = F.xxhash64("page_id", "sha1").alias("k")
+    revisits = revisits.select(key, F.lit(0).alias("kind"), "page_id", F.lit(None).cast("string").alias("url"), F.lit("").alias("html"), "sha1", "keep").distinct()
     archives = max(1, round((slim.agg(F.sum("size")).first()[0] or 0) / archive_bytes))
-    # Both sides are dealt by the same key, so the pages move once, and evenly: copies have keys of their own.
-    dealt = picked.withColumn("sha1", sha).withColumn("k", key).repartition(archives, "k")
-    same = (F.col("k") == F.col("rk")) & F.col("page_id").eqNullSafe(F.col("rid")) & (F.col("sha1") == F.col("rsha"))
-    rows = dealt.join(revisits.repartition(archives, "rk"), same, "left").select("page_id", "url", "html", "sha1", "keep")
+    # Pages move once: what is known of revisits travels with them, before the page itself. Copies have keys of their own.
+    rows = picked.withColumn("sha1", sha).select(key, F.lit(1).alias("kind"), "page_id", "url", "html", "sha1", F.lit(None).cast("long").alias("keep"))
+    rows = rows.union(revisits).repartition(archives, "k").sortWithinPartitions("k", "kind")
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, compressor = [], 0, None
+        at, keeps = None, {}  # of the key that is under way: (page, digest) to the page it revisits
 
         def begin() -> list[bytes]:
             nonlocal compressor
@@ -103,9 +106,15 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT,
 
         for batch in batches:
             frames = []
-            for page_id, url, html, digest, keep in zip(*batch.columns):
+            ks, kinds, ids, urls, htmls, digests, kept = batch.columns
+            for k, kind, page_id, url, html, digest, keep in zip(*(c.to_pylist() for c in (ks, kinds, ids, urls)), htmls, digests.to_pylist(), kept.to_pylist()):
+                if k != at:
+                    at, keeps = k, {}
+                if kind == 0:
+                    keeps[page_id, digest] = keep
+                    continue
                 payload = html.as_buffer().to_pybytes()
-                made = record(page_id.as_py(), url.as_py(), payload, digest.as_py(), keep.as_py(), date)
+                made = record(page_id, url, payload, digest, keeps.get((page_id, digest)), date)
                 if compressor:
                     frames.append(compressor.compress(made))
                     continue
@@ -125,14 +134,18 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT,
 
 
 def _rename(spark: SparkSession, path: str) -> None:
-    """part-*.txt become part-*.warc.zst."""
+    """part-*.txt become part-*.warc.zst, several at a time."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("part-") and name.endswith(".txt"):
-            fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(path, name[:-4] + ".warc.zst"))
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+
+    def rename(name: str) -> None:
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(path, name), jvm.org.apache.hadoop.fs.Path(path, name[:-4] + ".warc.zst")):
+            raise OSError(f"{path}/{name} could not be renamed")
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(rename, [n for n in names if n.startswith("part-") and n.endswith(".txt")]))
 
 
 def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
