@@ -57,6 +57,8 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
+    # Executors delete a shuffle's files only when the driver has collected the plan that made them.
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._helixloom_path = path
     return out
@@ -74,6 +76,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where the order of rows without an id begins.
+NO_ID = 1 << 62
+
+
+def order_of(doc_id: Column, text: Column) -> Column:
+    """The id; for rows without one a number from NO_ID on, by the text's hash, so that they come after all ids below it."""
+    return F.coalesce(doc_id, F.xxhash64(F.lit("no id"), text).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
+
+
 def word_count(text: Column) -> Column:
     """Words are maximal runs of other than ASCII white space; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")

@@ -16,7 +16,7 @@ def _done(edges: DataFrame) -> bool:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): a row per node of the edges (a, b), long columns; root is the least node of its component.
+    """(node, root): a row per node of the edges (a, b), columns of one type that has an order; root is the least node of its component.
 
     Every round keeps each node's least neighbour only, by two joins on nodes; a node with very many neighbours
     is one row on the aggregated side, and its edges are on the side that AQE splits. Rounds grow with the

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bktree
-from .common import stored
+from .common import order_of, stored
+from .components import components
 
 SEED = 42
 SHARD_ITEMS = 8192
@@ -109,6 +110,31 @@ class _Counts:
         return np.packbits(self.bits * 2 > self.total[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def _printed(picked: DataFrame, words: int, sketch: int) -> DataFrame:
+    """The columns of picked but the last, the text; then fp and, with sketch, keys."""
+    names = [*picked.columns[:-1], "fp", "keys"][: len(picked.columns) + bool(sketch)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = _Counts(batch.num_rows, sketch)
+            for i, text in enumerate(batch.columns[-1]):
+                if text.is_valid:
+                    counts.add(i, shingle_hashes(text.as_buffer().to_pybytes(), words))
+            out = [*batch.columns[:-1], pa.array(counts.fingerprints().view(np.int64))]
+            if sketch:
+                flat = pa.array(counts.least.view(np.int64).ravel())
+                out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, sketch, dtype=np.int32)), flat))
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+    schema = [f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]] + ["fp long"] + ["keys array<long>"] * bool(sketch)
+    return picked.mapInArrow(run, ", ".join(schema))
+
+
+def fingerprints(self) -> np.ndarray:
+        self.flush()
+        return np.packbits(self.bits * 2 > self.total[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def _fingerprinter(words: int, sketch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +157,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A fingerprint bit is 1 if over half the hashes have it; a text without words, or null, has fingerprint 0.
     """
     picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return picked.mapInArrow(_fingerprinter(words, sketch), "doc_id long, fp long" + ", keys array<long>" * bool(sketch))
+    return _printed(picked, words, sketch)
 
 
 #: Widths of the blocks by radius; a key is two blocks.
@@ -222,15 +248,13 @@ def links(keys: DataFrame, radius: int, shard_items: int = SHARD_ITEMS) -> DataF
 
 
 def classes(prints: DataFrame, keys: DataFrame, radius: int, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """(fp, component_id): for every fingerprint the least doc_id that links lead to, its own documents' included."""
-    from .components import components
-
+    """(fp, root, component_id): for every fingerprint its component's least fingerprint and least doc_id."""
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = stored(components(links(keys, radius, shard_items)), "components")
     rooted = first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = rooted.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first_id").alias("least_id"))
     joined = rooted.join(ids.withColumnRenamed("root", "r"), F.col("root") == F.col("r"), "left")
-    return joined.select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    return joined.select("fp", "root", F.coalesce("least_id", "first_id").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, shard_items: int = SHARD_ITEMS) -> DataFrame:
@@ -260,13 +284,17 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
 
 
 def without_similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component of similar_documents(), that of the smallest id; columns as they are.
+    """docs with one row of each component of similar_documents(); columns as they are.
 
-    Of rows that repeat id and text one stays. Rows of the kept id that differ in text all stay.
+    The row of the smallest id stays, of rows of that id the one whose text has the smallest hash, and one of rows
+    that repeat id and text. Rows without an id come after all others. Null texts and those without words are alike.
+    An empty table stays empty; other columns may have any names.
     """
-    ids = similar_documents(docs, similarity, words, id_col, text_col)
-    kept = ids.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), key.alias("_key"), F.xxhash64(key, text).alias("_row"))
-    left = rows.join(kept, F.col("_key").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["_row"])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), order_of(key, text).alias("_ord"), F.xxhash64(text).alias("_row"), text.alias("_text"))
+    prints = stored(_printed(rows.select("_ord", "_row", "_text"), words, SKETCH), "prints")
+    roots = stored(components(links(sketch_keys(prints), radius_for(similarity))), "components")
+    first = prints.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp")).agg(F.min(F.struct("_ord", "_row")).alias("stays"))
+    first = first.select(F.col("stays._ord").alias("o"), F.col("stays._row").alias("r"))
+    left = rows.drop("_text").join(first, (F.col("_ord") == F.col("o")) & (F.col("_row") == F.col("r")), "left_semi").dropDuplicates(["_ord", "_row"])
     return left.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import NO_ID, discard, order_of, stored
 
 MIN_SENTENCES = 2
 MIN_WORDS = 24
@@ -123,13 +123,13 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, text, sentences_removed, words_removed, first_ids): one row per row of docs.
 
     text is what is left; first_ids are the documents that keep a span removed here. In one document a later
-    repetition goes too. Rows of one id count as one document: none is taken for a repetition of another. A null
-    id comes after all others. Null texts stay null, empty ones empty. An empty table gives no rows; other columns
+    repetition goes too. Rows of one id count as one document: none is taken for a repetition of another. Rows
+    without an id come after all others, in the order of their texts' hashes, equal ones as one document. Null texts stay null, empty ones empty. An empty table gives no rows; other columns
     are not read.
     """
     picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    # A row's address is its id, and a tag that tells rows of one id but different texts apart.
-    picked = picked.withColumns({"ord": F.coalesce("doc_id", F.lit((1 << 63) - 1)), "tag": F.hash("text")})
+    # A row's address is its place in the order of ids, and a tag that tells rows of one id but different texts apart.
+    picked = picked.withColumns({"ord": order_of(F.col("doc_id"), F.col("text")), "tag": F.hash("text")})
     options = (min_sentences, min_words, long_words)
     kind = np.dtype([("h1", "<i8"), ("h2", "<i4"), ("rest", "<i4")])
 
@@ -161,7 +161,9 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = known.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.count("*").alias("rows")).where("rows > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
     later = known.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where("ord > first").select("ord", "tag", "a", "n", "first")
     again = spans.where("h1 is null").select("ord", "tag", "a", "n", F.lit(None).cast("long").alias("first"))
-    gone = later.union(again).groupBy(F.col("ord").alias("o"), F.col("tag").alias("t")).agg(F.collect_set(F.struct("a", "n")).alias("at"), F.array_sort(F.collect_set("first")).alias("first_ids"))
+    gone = later.union(again).groupBy(F.col("ord").alias("o"), F.col("tag").alias("t")).agg(F.collect_set(F.struct("a", "n")).alias("at"), F.array_sort(F.collect_set(F.when(F.col("first") < NO_ID, F.col("first")))).alias("first_ids"))
+    gone = stored(gone, "spans-gone")
+    discard(spans)
     joined = picked.join(gone, (F.col("ord") == F.col("o")) & (F.col("tag") == F.col("t")), "left").select("doc_id", "text", "at", "first_ids")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

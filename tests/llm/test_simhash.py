@@ -4,7 +4,7 @@ import xxhash
 
 from helixloom.llm import bktree
 from helixloom.llm.components import components
-from helixloom.llm.simhash import block_keys, fingerprints, links, near_dedup, shingle_hashes, similar_documents
+from helixloom.llm.simhash import block_keys, fingerprints, links, near_dedup, shingle_hashes, similar_documents, without_similar
 
 
 def brute_print(text, k):
@@ -114,3 +114,18 @@ def test_hashes_of_long_text_do_not_depend_on_slices(spark, monkeypatch):
     counts.add(1, shingle_hashes(text.encode(), 3))
     assert counts.fingerprints().tolist() == [0, brute_print(text, 3)]
     assert fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string"), words=5).first().fp % 2**64 == brute_print(text, 5)
+
+
+def test_without_similar_keeps_one_row_of_each_component(spark):
+    """Null ids, ids that repeat and equal rows: one row stays of each component, by id first."""
+    a = " ".join(f"alpha{i}" for i in range(60))
+    b, c = " ".join(f"beta{i}" for i in range(50)), " ".join(f"gamma{i}" for i in range(50))
+    rows = [(1, a), (None, a + " more"), (None, b), (None, b), (7, c), (7, c + " end"), (7, "other words of the same id stand here"), (9, None), (3, ""), (None, None)]
+    table = spark.createDataFrame([(i, t, 5, "x") for i, t in rows], "doc_id long, text string, _row int, root string")
+    got = without_similar(table)
+    assert got.columns == table.columns
+    left = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    sevens = [x for x in left if x[0] == 7]
+    assert len(sevens) == 2 and (7, rows[6][1]) in sevens
+    assert sorted((x for x in left if x[0] != 7), key=str) == sorted([(1, a), (None, b), (3, "")], key=str)
+    assert without_similar(table.limit(0)).count() == 0
