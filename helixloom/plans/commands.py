@@ -21,9 +21,12 @@ from ..sources.wintable import PARAMS, Header, read_header, read_windows, write_
 from .screening import screen, screen_features
 
 
+CHUNK = 1 << 20  # bases of a contig that a task takes at once
+
+
 def count(spark: SparkSession, sequences: str, k: int, output: str, min_count: int = 1, both_strands: bool = True) -> None:
     """A k-mer count table (Parquet) of a FASTA file."""
-    count_kmers(read_chunks(spark, sequences, k), k, both_strands, min_count=min_count).write.parquet(output)
+    count_kmers(read_chunks(spark, sequences, k, CHUNK).repartition("contig", "offset"), k, both_strands, min_count=min_count).write.parquet(output)
 
 
 def screen_variations(spark: SparkSession, reference: str, kmer_table: str, output: str, sample: str, feature: str = "window", window: int = 0, step: int = 0, gtf: str | None = None, min_count: int = 1, weights: tuple[float, float, float] = DEFAULT_WEIGHTS, k: int | None = None, both_strands: bool = True) -> None:
@@ -42,7 +45,7 @@ def screen_variations(spark: SparkSession, reference: str, kmer_table: str, outp
         counts = spark.read.parquet(kmer_table)
     contigs = read_fasta(spark, reference)
     if feature == "window":
-        found = screen(contigs.select("contig", "seq"), counts, k, window, step, min_count, both_strands, weights)
+        found = screen(contigs.select("contig", "seq"), counts, k, window, step, min_count, both_strands, weights, CHUNK)
         found = found.withColumn("win_id", F.concat_ws("_", "contig", F.col("start").cast("string")))
     else:
         found = screen_features(features(read_gtf(spark, gtf)), contigs.select("contig", "seq"), counts, k, feature, min_count, both_strands, weights).withColumn("win_id", F.col("win"))

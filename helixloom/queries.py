@@ -64,13 +64,14 @@ _COUNTS = f"(select canon, count(*) as cnt from {_ITEM_KMERS} group by 1)"
 
 @query(f"select contig, count(*) as n, min(p) as first_pos, max(p) as last_pos, cast(sum(p) as bigint) as pos_sum, min(kmer) as least_kmer from {_DOC_KMERS} group by 1")
 def kmer_extract(spark, d):
-    found = kmers.kmers(kmers.chunks(sequences(spark, d), K), K)
-    return found.groupBy("contig").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.sum("pos").alias("pos_sum"), F.min("kmer").alias("least_kmer"))
+    found = kmers.kmers(sequences(spark, d), K, packed=True)
+    found = found.groupBy("contig").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.sum("pos").alias("pos_sum"), F.min("kmer").alias("least_kmer"))
+    return found.withColumn("least_kmer", S.unpack(F.col("least_kmer"), K))
 
 
 @query(f"select canon as kmer, count(*) as cnt from {_DOC_KMERS} group by 1")
 def kmer_count(spark, d):
-    return kmers.count_kmers(kmers.chunks(sequences(spark, d), K), K)
+    return kmers.count_kmers(sequences(spark, d), K)
 
 
 @query(f"select canon as kmer, count(*) as cnt from {_ITEM_KMERS} group by 1 having count(*) between 2 and 9")
@@ -103,7 +104,7 @@ def kmer_exists(spark, d):
 
 @query(f"select canon as kmer from {_ITEM_KMERS} intersect select canon from {_DOC_KMERS}")
 def kmer_intersect(spark, d):
-    return kmers.common(benchmark_counts(spark, d), kmers.count_kmers(kmers.chunks(sequences(spark, d), K), K))
+    return kmers.common(benchmark_counts(spark, d), kmers.count_kmers(sequences(spark, d), K))
 
 
 # Windows
@@ -545,6 +546,6 @@ def screen_transcripts(spark, d):
     select sample, region_one, region_two, kmers_one, kmers_two, coalesce(common, 0) as common, coalesce(known, 0) as known from so join st using (sample) left join m using (sample, region_one, region_two)""")
 def compare_ibs(spark, d):
     turns = table(spark, d, "conversations").select(F.struct("role", "conv_id", "turn").alias("contig"), S.pseudo_sequence(F.col("text")).alias("seq"))
-    one = kmers.kmers(turns, K, True).select(F.lit("x").alias("sample"), F.col("contig.role").alias("region"), "kmer")
-    two = kmers.kmers(sequences(spark, d, "benchmark", "item_id"), K, True).select(F.lit("x").alias("sample"), F.col("contig").alias("region"), "kmer")
-    return compare.compare_regions(one, two, kmers.count_kmers(kmers.chunks(sequences(spark, d), K), K))
+    one = kmers.kmers(turns, K, True, packed=True).select(F.lit("x").alias("sample"), F.col("contig.role").alias("region"), "kmer")
+    two = kmers.kmers(sequences(spark, d, "benchmark", "item_id"), K, True, packed=True).select(F.lit("x").alias("sample"), F.col("contig").alias("region"), "kmer")
+    return compare.compare_regions(one, two, kmers.count_kmers(sequences(spark, d), K, packed=True))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.annotation import cut_out
 from ..operators.kmers import chunks
 
 _LETTERS = "ACGTYRWSMKHBVDN"
@@ -56,12 +57,15 @@ def fasta_index(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.substring_index(head, " ", 1).alias("name"), F.length(body).alias("length"), (F.col("at") + F.octet_length(head) + 2).alias("offset"), F.length(line).alias("line_bases"), (F.length(line) + 1).alias("line_width"), F.row_number().over(order).alias("_o")).orderBy("_o").drop("_o")
 
 
-def fetch(contigs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """ranges (contig, start, length) with seq: start from 0; a range outside its contig is an error."""
-    joined = ranges.join(contigs.select("contig", F.col("length").alias("_all"), F.col("seq").alias("_s")), "contig", "left")
+def fetch(contigs: DataFrame, ranges: DataFrame, size: int = 1 << 16) -> DataFrame:
+    """ranges (contig, start, length) with seq: start from 0; a range outside its contig is an error.
+
+    Ranges meet the chunks of `size` bases they lie in, so none is sent a whole contig.
+    """
+    asked = ranges.withColumn("_id", F.monotonically_increasing_id()).join(contigs.select("contig", F.col("length").alias("_all")), "contig", "left")
     fits = F.col("_all").isNotNull() & (F.col("start") >= 0) & (F.col("length") > 0) & (F.col("start") + F.col("length") <= F.col("_all"))
-    piece = F.expr("cast(substring(encode(_s, 'UTF-8'), start + 1, length) as string)")
-    return joined.withColumn("seq", F.when(fits, piece).otherwise(F.raise_error(F.concat(F.lit("no such range in "), F.col("contig"))))).drop("_all", "_s")
+    asked = asked.withColumn("start", F.when(fits, F.col("start")).otherwise(F.raise_error(F.concat(F.lit("no such range in "), F.col("contig")))))
+    return cut_out(contigs, asked, [*ranges.columns, "_id"], size).select(*ranges.columns, "seq")
 
 
 def write_fasta(seqs: DataFrame, path: str, width: int = 60) -> None:
