@@ -77,6 +77,12 @@ def parser() -> argparse.ArgumentParser:
     p = add("compare", "compare the regions of two references by k-mers", table=False)
     for flag in ("--ref-one", "--ref-two", "--summary-one", "--summary-two", "--kmc"):
         p.add_argument(flag, required=True)
+    p = add("pipeline", "count, screen, merge and find regions for the sequences of several samples", table=False)
+    p.add_argument("-r", "--reference", required=True)
+    p.add_argument("-s", "--samples", required=True, help="name=file, by commas")
+    p.add_argument("-k", type=int, default=31)
+    p.add_argument("-w", "--window", type=int, default=5000)
+    p.add_argument("-c", "--min-count", type=int, default=1)
     return top
 
 
@@ -96,6 +102,7 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         "genotypes": lambda: C.to_genotypes(spark, a.input, a.output, **called),
         "plink": lambda: C.to_plink(spark, a.input, a.output, **called),
         "matrix": lambda: C.to_matrix(spark, a.input, a.output, **called),
+        "pipeline": lambda: C.pipeline(spark, a.reference, dict(x.split("=", 1) for x in a.samples.split(",")), a.output, a.k, a.window, a.min_count),
     }
     if a.command == "compare":
         from .sources.kmc import read_header, read_kmc

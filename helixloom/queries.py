@@ -7,6 +7,9 @@ for intervals and annotation. All tables are read whole.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from .functions import metrics as M
 from .functions import sequence as S
 from .operators import annotation, attributes, cohort, compare, genotypes, ibs, kmers, rewindow, sitestats, windows
 from .plans.screening import screen, screen_features
+from .sources import fasta
 
 K, WINDOW, STEP = 9, 200, 70
 QUERIES, ORACLE_SQL = {}, {}
@@ -549,3 +553,36 @@ def compare_ibs(spark, d):
     one = kmers.kmers(turns, K, True, packed=True).select(F.lit("x").alias("sample"), F.col("contig.role").alias("region"), "kmer")
     two = kmers.kmers(sequences(spark, d, "benchmark", "item_id"), K, True, packed=True).select(F.lit("x").alias("sample"), F.col("contig").alias("region"), "kmer")
     return compare.compare_regions(one, two, kmers.count_kmers(sequences(spark, d), K, packed=True))
+
+
+# Files: written to the shared folder and read again
+
+
+def _written_fasta(spark: SparkSession, d: str) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{folder or tempfile.mkdtemp()}/fasta-{uuid.uuid4().hex}"
+    fasta.write_fasta(sequences(spark, d).where(F.length("seq") > 0).select(F.concat(F.lit("d"), "contig").alias("contig"), "seq", F.col("contig").alias("ord")), path)
+    return path
+
+
+_FASTA = f"(select 'd' || contig as contig, seq, length(seq) as len, cast(row_number() over (order by contig) as int) - 1 as idx from {_seq_sql('documents', 'doc_id')} where length(seq) > 0)"
+
+
+@query(f"select idx as contig_idx, contig, '' as description, len as length, md5(seq) as seq from {_FASTA}")
+def fasta_round_trip(spark, d):
+    return fasta.read_fasta(spark, _written_fasta(spark, d)).withColumn("seq", F.md5("seq"))
+
+
+@query(f"""with f as (select *, cast(ceil(len / 60.0) as int) as lines from {_FASTA}), o as (select *, sum(length(contig) + 2 + len + lines) over (order by idx rows between unbounded preceding and 1 preceding) as before from f)
+    select contig as name, len as length, cast(coalesce(before, 0) + length(contig) + 2 as bigint) as "offset", least(len, 60) as line_bases, least(len, 60) + 1 as line_width from o""")
+def fasta_index(spark, d):
+    return fasta.fasta_index(spark, _written_fasta(spark, d)).select("name", "length", F.col("offset").cast("long").alias("offset"), "line_bases", "line_width")
+
+
+@query(f"select contig, idx % 7 as \"start\", least(50, len - idx % 7) as length, substr(seq, idx % 7 + 1, least(50, len - idx % 7)) as seq from {_FASTA} where len > 20")
+def fasta_ranges(spark, d):
+    contigs = fasta.read_fasta(spark, _written_fasta(spark, d))
+    at = F.col("contig_idx") % 7
+    return fasta.fetch(contigs, contigs.where("length > 20").select("contig", at.alias("start"), F.least(F.lit(50), F.col("length") - at).alias("length")))

@@ -26,3 +26,10 @@ def test_from_sequences_to_a_cohort(spark, tmp_path):
     head = read_header(spark, f"{tmp_path}/regions")
     assert head.samples == ["a", "b"] and head.params["step"] == "15" and head.params["IBS"] == "true"
     assert {r.ibs for r in read_windows(spark, f"{tmp_path}/regions").collect()} == {1}
+
+
+def test_pipeline(spark, tmp_path):
+    fasta = tmp_path / "r.fa"
+    fasta.write_text(">c\n" + "ACGTTGCAAGGCTTAACCGGATATCGCGTA" * 6 + "\n")
+    run(spark, f"pipeline -r {fasta} -s a={fasta},b={fasta} -k 9 -w 60 -o {tmp_path}/out".split())
+    assert {r.score for r in read_windows(spark, f"{tmp_path}/out/cohort").collect()} == {100.0}
