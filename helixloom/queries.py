@@ -17,7 +17,7 @@ from .functions import metrics as M
 from .functions import sequence as S
 from .operators import annotation, attributes, cohort, compare, genotypes, ibs, kmers, rewindow, sitestats, windows
 from .plans.screening import screen, screen_features
-from .sources import fasta
+from .sources import fasta, gtf, wintable
 
 K, WINDOW, STEP = 9, 200, 70
 QUERIES, ORACLE_SQL = {}, {}
@@ -135,11 +135,11 @@ def window_slide(spark, d):
     return windows.slides(lengths(spark, d), WINDOW, STEP, K)
 
 
-def _fold_sql(wins: str, min_count: int) -> str:
+def _fold_sql(wins: str, min_count: int, found: str = _DOC_KMERS, meets: str = f"v.contig = w.contig and v.p >= w.st and v.p + {K} <= w.en") -> str:
     """The fold with k-mers put into windows by a range join."""
     return f"""
-        with v as materialized (select contig, p, canon from {_DOC_KMERS}), db as (select * from {_COUNTS}), w as (select * from {wins}),
-        j as (select w.contig, w.win, v.p, coalesce(db.cnt, 0) as cnt from w join v on v.contig = w.contig and v.p >= w.st and v.p + {K} <= w.en left join db using (canon)),
+        with v as materialized (select contig, p, canon from {found}), db as (select * from {_COUNTS}), w as (select * from {wins}),
+        j as (select w.contig, w.win, v.p, coalesce(db.cnt, 0) as cnt from w join v on {meets} left join db using (canon)),
         o as (select *, row_number() over x as o, case when p - lag(p) over x = 1 then 0 else 1 end as brk from j window x as (partition by contig, win order by p)),
         h as (select *, max(case when cnt >= {min_count} then o end) over (partition by contig, win order by o rows between unbounded preceding and 1 preceding) as ph from o),
         g as (select *, o - coalesce(ph, 0) - 1 as gap from h),
@@ -287,12 +287,13 @@ def sample_tsv(spark, d):
 @query(f"""with b as (select *, cast(floor((row_number() over (partition by sample, chrom order by win_ord) - 1) / 6) as bigint) as bucket from {_FACTS}),
     l as (select *, lag(rd) over (partition by sample, chrom, bucket order by win_ord) as prv from b),
     g as (select sample, chrom, bucket, min("start") as "start", max("end") as "end", cast(sum(total_kmers) as bigint) as total_kmers, cast(sum(ob) as bigint) as ob, cast(sum(va) as bigint) - count(*) filter (coalesce(prv, 0) > 0 and ld > 0 and va > 0) as va,
-        cast(sum(id + ld + rd) as bigint) as s, arg_min(ld, win_ord) as ld, arg_max(rd, win_ord) as rd from l group by 1, 2, 3),
-    r as (select *, s - ld - rd as id, "end" - "start" as eff_len from g)
-    select sample, chrom, "start", "end", total_kmers, ob, va, ld, rd, id, eff_len, {_score_sql()} as score from r""")
+        cast(sum(id + ld + rd) as bigint) as s, arg_min(ld, win_ord) as ld, arg_max(rd, win_ord) as rd,
+        cast(list_reduce(list_prepend(0.0::double, list(kd * ob order by win_ord)), lambda a, x: trunc(a + x)) as bigint) as kmer_count from l group by 1, 2, 3),
+    r as (select *, s - ld - rd as id, "end" - "start" as eff_len, cast(kmer_count as double) / ob as kd from g)
+    select sample, chrom, "start", "end", total_kmers, ob, va, ld, rd, id, eff_len, kmer_count, kd, {_score_sql()} as score from r""")
 def increase_window(spark, d):
     out = rewindow.widen(facts(spark, d), rewindow.bucket_size(100, 500))
-    return out.select("sample", "chrom", "start", "end", "total_kmers", "ob", "va", "ld", "rd", "id", "eff_len", "score")
+    return out.select("sample", "chrom", "start", "end", "total_kmers", "ob", "va", "ld", "rd", "id", "eff_len", "kmer_count", "kd", "score")
 
 
 @query(f"select chrom, count(*) as cells, count(distinct win_id) as wins from {_FACTS} group by 1")
@@ -371,6 +372,11 @@ def site_summary(spark, d):
     return sitestats.site_summary(called(spark, d))
 
 
+@query(f"select * from ({ORACLE_SQL['site_summary']}) where maf >= cast(0.1 as double) and miss <= cast(0.5 as double) and het <= cast(0.9 as double)")
+def kept_markers(spark, d):
+    return sitestats.keep_markers(sitestats.site_summary(called(spark, d)), 0.1, 0.5, 0.9)
+
+
 @query(f"select chrom, win_id from {_CALLED} group by 1, 2 having count(distinct allele) > 1")
 def polymorphic_sites(spark, d):
     return sitestats.polymorphic(called(spark, d))
@@ -518,29 +524,74 @@ def gtf_roots(spark, d):
     return annotation.roots(annotation.features(records(spark, d)))
 
 
-_MERGED = f"""(with x as (select distinct transcript_id as owner, chrom, s, e, strand from {_EXONS}),
+def _merged_sql(owner: str) -> str:
+    """Distinct exons of each owner, merged."""
+    return f"""(with x as (select distinct {owner} as owner, chrom, s, e, strand from {_EXONS}),
     r as (select *, max(e) over (partition by owner, chrom, strand order by s, e rows between unbounded preceding and 1 preceding) as reach from x),
     i as (select *, sum(case when s <= reach then 0 else 1 end) over (partition by owner, chrom, strand order by s, e rows unbounded preceding) as island from r)
     select owner, chrom, min(s) as s, max(e) as e from i group by owner, chrom, strand, island)"""
 
 
+def _spliced_sql(owner: str) -> str:
+    return f"select owner, chrom, string_agg(substr(seq, s, e - s + 1), '' order by s, substr(seq, s, e - s + 1)) as seq from {_merged_sql(owner)} m join {_seq_sql('documents', 'doc_id')} q on m.chrom = 'x' || q.contig group by 1, 2"
+
+
+def _screen_sql(owner: str, feats: str) -> str:
+    """The fold over spliced sequences of feats (contig, win, st, en)."""
+    cut = f"(select owner as contig, p, kmer, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) as canon from (select owner, p, substr(seq, p + 1, {K}) as kmer from (select owner, seq, cast(unnest(range(0, greatest(length(seq) - {K - 1}, 0))) as int) as p from ({_spliced_sql(owner)}))) where not contains(kmer, 'N'))"
+    return _fold_sql(feats, 1, cut, "v.contig = w.win")
+
+
 def doc_contigs(spark, d):
     return sequences(spark, d).select(F.concat(F.lit("x"), F.col("contig").cast("string")).alias("contig"), "seq")
 
 
-@query(f"select owner, chrom, md5(string_agg(substr(seq, s, e - s + 1), '' order by s, substr(seq, s, e - s + 1))) as seq from {_MERGED} m join {_seq_sql('documents', 'doc_id')} q on m.chrom = 'x' || q.contig group by 1, 2")
+@query(f"select owner, chrom, md5(seq) as seq from ({_spliced_sql('transcript_id')})")
 def spliced_seq(spark, d):
     return annotation.spliced(annotation.features(records(spark, d)), doc_contigs(spark, d), False).withColumn("seq", F.md5("seq"))
 
 
-@query(f"""with s as (select owner, string_agg(substr(seq, s, e - s + 1), '' order by s, substr(seq, s, e - s + 1)) as seq from {_MERGED} m join {_seq_sql('documents', 'doc_id')} q on m.chrom = 'x' || q.contig group by 1),
-    v as (select owner, p, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) as canon from (select owner, p, substr(seq, p + 1, {K}) as kmer from (select owner, seq, cast(unnest(range(0, greatest(length(seq) - {K - 1}, 0))) as int) as p from s)) where not contains(kmer, 'N')),
-    a as (select owner, count(*) as total, count(*) filter (cnt is not null) as hit from v left join {_COUNTS} c using (canon) group by 1)
-    select t.transcript_id as win, t.s as "start", t.e as "end", coalesce(total, 0) as total_kmers, coalesce(hit, 0) as ob from {_TX} t left join a on owner = transcript_id""")
+@query(_screen_sql("transcript_id", f"(select chrom as contig, transcript_id as win, s as st, e as en from {_TX})"))
 def screen_transcripts(spark, d):
-    feats = annotation.features(records(spark, d))
-    out = screen_features(feats, doc_contigs(spark, d), benchmark_counts(spark, d), K, "transcript")
-    return out.select("win", "start", "end", "total_kmers", "ob")
+    return screen_features(annotation.features(records(spark, d)), doc_contigs(spark, d), benchmark_counts(spark, d), K, "transcript")
+
+
+# Each order is a gene here, so that a gene lies on one chromosome; those of even number have a record of their own, in
+# the middle of their lines.
+_ORDER_GENES = f"""(select gene_id, chrom, case when own and not late then 30 when own then least(30, s) else s end as st, case when own and not late then 40 when own then greatest(40, e) else e end as en, case when own then '.' else strand end as strand, own
+    from (select 'G' || substr(transcript_id, 2) as gene_id, chrom, s, e, strand, cast(substr(transcript_id, 2) as bigint) % 2 = 0 as own, cast(substr(transcript_id, 2) as bigint) % 4 = 0 as late from {_TX}))"""
+
+
+def order_genes(spark, d):
+    """records(), where every order is a gene; of four, one has a record before its transcript, one after it."""
+    number = F.substring("transcript_id", 2, 20).cast("long")
+    rows = records(spark, d).withColumn("gene_id", F.concat(F.lit("G"), F.substring("transcript_id", 2, 20)))
+    own = rows.where((F.col("type") == "mRNA") & (number % 2 == 0))
+    own = own.withColumns({"type": F.lit("gene"), "start": F.lit(30), "end": F.lit(40), "strand": F.lit("."), "line_no": F.col("line_no") + F.when(number % 4 == 0, -1).otherwise(500_000), "transcript_id": F.lit(None).cast("string")})
+    return annotation.features(rows.unionByName(own))
+
+
+@query(f"""select 'gene' as kind, gene_id as id, chrom as parent, chrom, st as "start", en as "end", strand from {_ORDER_GENES}""")
+def gene_records(spark, d):
+    return order_genes(spark, d).where("kind = 'gene'").drop("line_no")
+
+
+@query(f"select gene_id as id, cast(substr(gene_id, 2) as bigint) as number from {_ORDER_GENES} where own")
+def gene_children(spark, d):
+    feats = order_genes(spark, d)
+    genes = feats.where("kind = 'gene'").select("id", F.substring("id", 2, 20).cast("long").alias("number")).where("number % 2 = 0")
+    found = annotation.children(feats.where("kind = 'transcript'"), genes)
+    return found.select(F.col("parent").alias("id"), F.substring("id", 2, 20).cast("long").alias("number"))
+
+
+@query(f"select owner, chrom, md5(seq) as seq from ({_spliced_sql('gene_id')})")
+def spliced_genes(spark, d):
+    return annotation.spliced(annotation.features(records(spark, d)), doc_contigs(spark, d), True).withColumn("seq", F.md5("seq"))
+
+
+@query(_screen_sql("'G' || substr(transcript_id, 2)", f"(select chrom as contig, gene_id as win, st, en from {_ORDER_GENES})"))
+def screen_genes(spark, d):
+    return screen_features(order_genes(spark, d), doc_contigs(spark, d), benchmark_counts(spark, d), K)
 
 
 @query(f"""with o as (select 'x' as sample, role as region_one, canon from (select role, k.canon from {_kmer_sql('conversations', 'conv_id * 1000 + turn')} k join conversations c on k.contig = c.conv_id * 1000 + c.turn)),
@@ -558,11 +609,15 @@ def compare_ibs(spark, d):
 # Files: written to the shared folder and read again
 
 
-def _written_fasta(spark: SparkSession, d: str) -> str:
+def _new_file(spark: SparkSession, kind: str) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = f"{folder or tempfile.mkdtemp()}/fasta-{uuid.uuid4().hex}"
+    return f"{folder or tempfile.mkdtemp()}/{kind}-{uuid.uuid4().hex}"
+
+
+def _written_fasta(spark: SparkSession, d: str) -> str:
+    path = _new_file(spark, "fasta")
     fasta.write_fasta(sequences(spark, d).where(F.length("seq") > 0).select(F.concat(F.lit("d"), "contig").alias("contig"), "seq", F.col("contig").alias("ord")), path)
     return path
 
@@ -586,3 +641,40 @@ def fasta_ranges(spark, d):
     contigs = fasta.read_fasta(spark, _written_fasta(spark, d))
     at = F.col("contig_idx") % 7
     return fasta.fetch(contigs, contigs.where("length > 20").select("contig", at.alias("start"), F.least(F.lit(50), F.col("length") - at).alias("length")))
+
+
+@query(f"""select chrom, case kind when 'transcript' then 'mRNA' else kind end as type, "start", "end", strand, case kind when 'gene' then id when 'transcript' then parent end as gene_id, case kind when 'transcript' then id when 'exon' then parent end as transcript_id
+    from ({ORACLE_SQL['gtf_tree']})""")
+def gtf_round_trip(spark, d):
+    path = _new_file(spark, "gtf")
+    gtf.write_gtf(annotation.features(records(spark, d)), path)
+    found = gtf.read_gtf(spark, path).drop("line_no")
+    return found.withColumn("type", F.when(F.col("type") == "transcript", "mRNA").otherwise(F.col("type")))
+
+
+_WHOLE = f"""(select * replace (cast(sum(total_kmers) over w as bigint) as total_kmers, cast(sum(total_kmers) over w as bigint) + 8 as eff_len), count(*) over w as flags
+    from {_FACTS} window w as (partition by win_id) qualify flags = 3)"""
+
+
+def _written_windows(spark: SparkSession, d: str) -> str:
+    """Windows with a cell for each return flag, as text; k-mers are those of the window, alike in all its cells."""
+    rows, path = facts(spark, d), _new_file(spark, "windows")
+    whole = rows.groupBy("win_id").agg(F.count("*").alias("flags"), F.sum("total_kmers").alias("total_kmers")).where("flags = 3").drop("flags").withColumn("eff_len", F.col("total_kmers") + 8)
+    rows = rewindow.rescore(rows.drop("total_kmers", "eff_len").join(whole, "win_id"))
+    chroms = [r.chrom for r in table(spark, d, "supplier").select(F.col("s_suppkey").alias("chrom")).orderBy("chrom").toLocalIterator()]
+    head = wintable.Header("orders.fa", {str(c): 10 * c for c in chroms}, {"window": "100", "kmer": str(K)}, ["query"], ["A", "N", "R"])
+    wintable.write_windows(cohort.align(rows, head.samples).withColumn("chrom", F.col("chrom").cast("string")), head, path)
+    return path
+
+
+@query(f"""select cast(chrom as varchar) as chrom, win_id, "start", "end", sample, case sample when 'A' then 0 when 'N' then 1 else 2 end as sample_idx, total_kmers, eff_len, ob, va, id, ld, rd, ibs, {_score_sql()} as score from {_WHOLE}""")
+def table_round_trip(spark, d):
+    out = wintable.read_windows(spark, _written_windows(spark, d))
+    return out.select("chrom", "win_id", "start", "end", "sample", "sample_idx", *[F.col(c).cast("long").alias(c) for c in ("total_kmers", "eff_len", "ob", "va", "id", "ld", "rd", "ibs")], "score")
+
+
+@query("""select cast(s_suppkey as varchar) as contig, s_suppkey * 10 as length, 'orders.fa' as reference, 'A,N,R' as samples, '100' as "window" from supplier""")
+def table_header(spark, d):
+    head = wintable.read_header(spark, _written_windows(spark, d))
+    rows = [(c, n, head.reference, ",".join(head.samples), head.params["window"]) for c, n in head.contigs.items()]
+    return spark.createDataFrame(rows, "contig string, length long, reference string, samples string, window string")

@@ -96,12 +96,16 @@ def rows_as_text(windows: DataFrame) -> DataFrame:
 def write_windows(windows: DataFrame, header: Header, path: str, date: str | None = None) -> None:
     """One text file: the header, then windows in order of the header's contigs and their starts.
 
-    Every window must have a cell for each of the header's samples.
+    Every window must have a cell for each of the header's samples, and one place, number of k-mers and effective
+    length in all of them.
     """
     spark = windows.sparkSession
-    short = windows.groupBy("chrom", "win_id").agg(F.count_distinct("sample_idx").alias("n")).where(F.col("n") != len(header.samples)).limit(1).collect()
-    if short:
-        raise ValueError(f"window {short[0].win_id} has {short[0].n} of {len(header.samples)} samples")
+    own = F.struct("start", "end", "total_kmers", "eff_len")
+    found = windows.groupBy("chrom", "win_id").agg(F.count_distinct("sample_idx").alias("n"), (F.min(own) == F.max(own)).alias("alike"))
+    for wrong in found.where((F.col("n") != len(header.samples)) | ~F.col("alike")).limit(1).collect():
+        if wrong.n != len(header.samples):
+            raise ValueError(f"window {wrong.win_id} has {wrong.n} of {len(header.samples)} samples")
+        raise ValueError(f"samples differ in the place, k-mers or length of window {wrong.win_id}")
     rank = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in header.contigs]), F.col("chrom")), F.lit(0)) if header.contigs else F.lit(0)
     body = rows_as_text(windows).select(F.lit(1).alias("part"), rank.cast("long").alias("a"), F.col("start").cast("long").alias("b"), F.col("end").cast("long").alias("c"), F.col("win_id").alias("d"), "line")
     head = spark.createDataFrame([(0, 0, i, 0, "", line) for i, line in enumerate(header.lines(date))], body.schema)

@@ -15,7 +15,7 @@ from helixloom.sources.gtf import read_gtf, write_gtf
 from helixloom.sources.kmc import read_header, read_kmc
 from helixloom.sources.tables import read_genotypes, read_hapmap, read_list, read_summary
 from helixloom.sources.wintable import read_header as table_header
-from helixloom.sources.wintable import read_windows
+from helixloom.sources.wintable import Header, read_windows, write_windows
 
 
 def write(path, text):
@@ -195,3 +195,15 @@ def test_small_tables(spark, tmp_path):
     assert sorted((r.sample, r.allele) for r in gt.collect()) == [("a", 2), ("b", -1)]
     hm = read_hapmap(spark, write(tmp_path / "h", "\t".join(["rs#", "alleles", "chrom", "pos", *"defghij", "x"]) + "\n" + "\t".join(["m", "A/G", "1", "5", *"0000000", "G"]) + "\n"))
     assert [(r.ID, r.START, r.sample, r.call) for r in hm.collect()] == [("m", 5, "x", "G")]
+
+
+def test_samples_must_agree_on_a_window(spark, tmp_path):
+    schema = "chrom string, start int, end int, win_id string, sample_idx int, total_kmers int, eff_len int, ibs int, va int, ob int, id int, ld int, rd int, kd double, score double"
+    head = Header(contigs={"c": 9}, samples=["s", "t"])
+    rows = [("c", 0, 9, "w", i, 5, 9, -1, 0, 5, 0, 0, 0, 1.0, 100.0) for i in range(2)]
+    write_windows(spark.createDataFrame(rows, schema), head, str(tmp_path / "ok"))
+    assert read_windows(spark, str(tmp_path / "ok")).count() == 2
+    rows[1] = ("c", 0, 9, "w", 1, 6, 9, -1, 0, 5, 0, 0, 0, 1.0, 100.0)
+    for wrong, says in ((rows, "samples differ"), (rows[:1], "1 of 2 samples")):
+        with pytest.raises(ValueError, match=says):
+            write_windows(spark.createDataFrame(wrong, schema), head, str(tmp_path / "no"))
