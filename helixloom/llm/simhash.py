@@ -130,27 +130,6 @@ def _printed(picked: DataFrame, words: int, sketch: int) -> DataFrame:
     return picked.mapInArrow(run, ", ".join(schema))
 
 
-def fingerprints(self) -> np.ndarray:
-        self.flush()
-        return np.packbits(self.bits * 2 > self.total[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-
-
-def _fingerprinter(words: int, sketch: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = _Counts(batch.num_rows, sketch)
-            for i, text in enumerate(batch.column(1)):
-                if text.is_valid:
-                    counts.add(i, shingle_hashes(text.as_buffer().to_pybytes(), words))
-            out = [batch.column(0), pa.array(counts.fingerprints().view(np.int64))]
-            if sketch:
-                flat = pa.array(counts.least.view(np.int64).ravel())
-                out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, sketch, dtype=np.int32)), flat))
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "fp", "keys"][: len(out)])
-
-    return run
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, sketch: int = 0) -> DataFrame:
     """(doc_id, fp) and, with sketch, keys: the least of the shingles' hashes under `sketch` permutations.
 
