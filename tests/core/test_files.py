@@ -207,3 +207,21 @@ def test_samples_must_agree_on_a_window(spark, tmp_path):
     for wrong, says in ((rows, "samples differ"), (rows[:1], "1 of 2 samples")):
         with pytest.raises(ValueError, match=says):
             write_windows(spark.createDataFrame(wrong, schema), head, str(tmp_path / "no"))
+
+
+@pytest.fixture
+def parts(spark):
+    """Small tables are written in several parts too."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield lambda folder: sorted(glob.glob(f"{folder}/part-*"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_gtf_in_parts(spark, tmp_path, parts):
+    rows = [("gene", f"g{i}", f"c{i % 5}", f"c{i % 5}", 7 * i + 1, 7 * i + 3, "+", i) for i in range(90)]
+    path = f"{tmp_path}/out put"
+    write_gtf(spark.createDataFrame(rows, "kind string, id string, parent string, chrom string, start int, end int, strand string, line_no long").repartition(3), path)
+    assert len(parts(path)) > 1
+    want = [r[1] for r in sorted(rows, key=lambda r: (r[3], r[4]))]
+    assert [x.split('"')[1] for x in lines(path)] == want
+    assert [r.gene_id for r in sorted(read_gtf(spark, path).collect(), key=lambda r: r.line_no)] == want
