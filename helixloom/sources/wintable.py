@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import DEFAULT_WEIGHTS, ibs_code, ibs_text, score, two_places
+from .files import places
 
 #: Fixed values of the format.
 COLUMNS = ("CHROM", "START", "END", "ID", "TOTAL_KMERS", "INFO", "FORMAT")
@@ -46,7 +47,7 @@ def _field(line: str, name: str) -> str:
 def read_header(spark: SparkSession, path: str) -> Header:
     """The header: a few lines for each contig, which the driver holds. Version and date are not kept."""
     h = Header()
-    for r in spark.read.text(path).where(F.col("value").startswith("#")).toLocalIterator():
+    for r in sorted(places(spark, path).where(F.col("value").startswith("#")).collect(), key=lambda r: r.place):
         line = r.value
         if line.startswith("##reference="):
             h.reference = line.partition("=")[2]
@@ -65,12 +66,12 @@ def read_windows(spark: SparkSession, path: str, header: Header | None = None) -
     """The long table: a row per window and sample. Scores are computed anew with the header's weights; counts come
     from depth times observed k-mers, so they are as exact as two decimals of depth allow."""
     h = header or read_header(spark, path)
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i")).where(~F.col("value").startswith("#") & (F.col("value") != ""))
+    rows = places(spark, path).where(~F.col("value").startswith("#") & (F.col("value") != ""))
     rows = rows.withColumn("c", F.split("value", "\t"))
     samples = F.array(*[F.lit(s) for s in h.samples])
     base = rows.select(
         F.col("c")[0].alias("chrom"), F.col("c")[1].cast("int").alias("start"), F.col("c")[2].cast("int").alias("end"), F.col("c")[3].alias("win_id"), F.col("c")[4].cast("int").alias("total_kmers"),
-        F.str_to_map(F.col("c")[5], F.lit(";"), F.lit("="))["EFFLEN"].cast("int").alias("eff_len"), (F.col("_b") * (1 << 20) + F.col("_i") % (1 << 33)).alias("win_ord"),
+        F.str_to_map(F.col("c")[5], F.lit(";"), F.lit("="))["EFFLEN"].cast("int").alias("eff_len"), F.col("place").alias("win_ord"),
         F.posexplode(F.slice("c", len(COLUMNS) + 1, F.size("c") - len(COLUMNS))).alias("sample_idx", "cell"),
     )
     p = F.split("cell", ":")
@@ -94,7 +95,8 @@ def rows_as_text(windows: DataFrame) -> DataFrame:
 
 
 def write_windows(windows: DataFrame, header: Header, path: str, date: str | None = None) -> None:
-    """One text file: the header, then windows in order of the header's contigs and their starts.
+    """The header, then windows in order of the header's contigs and their starts: a folder of parts that follow each
+    other by their names.
 
     Every window must have a cell for each of the header's samples, and one place, number of k-mers and effective
     length in all of them.
@@ -106,7 +108,8 @@ def write_windows(windows: DataFrame, header: Header, path: str, date: str | Non
         if wrong.n != len(header.samples):
             raise ValueError(f"window {wrong.win_id} has {wrong.n} of {len(header.samples)} samples")
         raise ValueError(f"samples differ in the place, k-mers or length of window {wrong.win_id}")
-    rank = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in header.contigs]), F.col("chrom")), F.lit(0)) if header.contigs else F.lit(0)
-    body = rows_as_text(windows).select(F.lit(1).alias("part"), rank.cast("long").alias("a"), F.col("start").cast("long").alias("b"), F.col("end").cast("long").alias("c"), F.col("win_id").alias("d"), "line")
+    ranks = spark.createDataFrame([(c, i + 1) for i, c in enumerate(header.contigs)], "_contig string, _rank long")
+    body = rows_as_text(windows).join(F.broadcast(ranks), F.col("chrom") == F.col("_contig"), "left")  # a row per contig
+    body = body.select(F.lit(1).alias("part"), F.coalesce("_rank", F.lit(0)).alias("a"), F.col("start").cast("long").alias("b"), F.col("end").cast("long").alias("c"), F.col("win_id").alias("d"), "line")
     head = spark.createDataFrame([(0, 0, i, 0, "", line) for i, line in enumerate(header.lines(date))], body.schema)
-    head.union(body).orderBy("part", "a", "b", "c", "d").coalesce(1).select(F.col("line").alias("value")).write.text(path)
+    head.union(body).orderBy("part", "a", "b", "c", "d").select(F.col("line").alias("value")).write.text(path)

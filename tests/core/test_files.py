@@ -225,3 +225,17 @@ def test_gtf_in_parts(spark, tmp_path, parts):
     want = [r[1] for r in sorted(rows, key=lambda r: (r[3], r[4]))]
     assert [x.split('"')[1] for x in lines(path)] == want
     assert [r.gene_id for r in sorted(read_gtf(spark, path).collect(), key=lambda r: r.line_no)] == want
+
+
+def test_windows_in_parts(spark, tmp_path, parts):
+    head = Header("r.fa", {f"c{i * 37 % 101}": 10 * i for i in range(101)}, {"window": "10"}, ["q"], ["a", "b"])
+    rows = [(c, 10 * j, 10 * j + 10, f"{c}_{j}", s, i, 5, 13, 4, 0, 1, 1, 0, -1, 4, 1.0, 80.0) for c in head.contigs for j in range(2) for i, s in enumerate("ab")]
+    schema = "chrom string, start int, end int, win_id string, sample string, sample_idx int, total_kmers int, eff_len int, ob int, va int, id int, ld int, rd int, ibs int, kmer_count int, kd double, score double"
+    path = f"{tmp_path}/out put"
+    write_windows(spark.createDataFrame(random.Random(4).sample(rows, len(rows)), schema).repartition(3), head, path)
+    assert len(parts(path)) > 1
+    text = lines(path)
+    assert [x.split("\t")[3] for x in text if x[0] != "#"] == [f"{c}_{j}" for c in head.contigs for j in range(2)]
+    assert list(table_header(spark, path).contigs.items()) == list(head.contigs.items())
+    found = sorted(read_windows(spark, path).collect(), key=lambda r: (r.win_ord, r.sample_idx))
+    assert [(r.win_id, r.sample) for r in found] == [(r[3], r[4]) for r in rows]
